@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, splitting, survivors, tokenizer
+from loomgraph.llm import mixing, pairs, splitting, survivors, tokenizer
 from loomgraph.plans.registry import Registry
 from loomgraph.session import read_table
 
@@ -97,3 +97,11 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_shares")
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_shares(p8_mix(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+# 5: defective pairs
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.find_defects(read_table(spark, sf_dir, "candidates"), "candidate_id", "query_abstract", "answer")
