@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, pairs, splitting, survivors, tokenizer
+from loomgraph.llm import mixing, pairs, splitting, subjects, survivors, tokenizer
 from loomgraph.plans.registry import Registry
 from loomgraph.session import read_table
 
@@ -105,3 +105,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.find_defects(read_table(spark, sf_dir, "candidates"), "candidate_id", "query_abstract", "answer")
+
+
+# 9: subject areas
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas"))
+    return subjects.assign_subjects(*tables).select("doc_id", "subject_area")
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read_table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id")).first()[0]
+    return subjects.subject_shares(p9_found(spark, sf_dir), n)

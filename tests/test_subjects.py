@@ -1,0 +1,20 @@
+import __spark_entry__
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_p9_is_registered_over_all_documents(spark):
+    queries = __spark_entry__.queries()
+    found = queries["p9_found"](spark, DATA)
+    assert found.columns == ["doc_id", "subject_area"]
+    rows = [tuple(r) for r in found.collect()]
+    areas = {r[0] for r in spark.read.parquet(f"{DATA}/subject_areas.parquet").select("subject_area").collect()}
+    labelled = {r[0] for r in spark.read.parquet(f"{DATA}/subject_labels.parquet").select("doc_id").collect()}
+    assert rows and len(rows) == len(set(rows))
+    assert {a for _, a in rows} <= areas
+    assert {d for d, _ in rows} - labelled
+
+
+def test_p9_shares_are_registered(spark):
+    shares = __spark_entry__.queries()["p9_shares"](spark, DATA).collect()
+    assert shares and all(0 < r["share"] <= 1 for r in shares)
