@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, pairs, splitting, subjects, survivors, tokenizer
+from loomgraph.llm import mixing, pairs, scans, splitting, subjects, survivors, tokenizer
 from loomgraph.plans.registry import Registry
 from loomgraph.session import read_table
 
@@ -120,3 +120,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "documents").agg(F.count_distinct("doc_id")).first()[0]
     return subjects.subject_shares(p9_found(spark, sf_dir), n)
+
+
+# 2: noise of scanned pages
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(read_table(spark, sf_dir, "articles"), read_table(spark, sf_dir, "source_docs"))
+
+
+@query("p2_repaired")
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(read_table(spark, sf_dir, "articles"), read_table(spark, sf_dir, "source_docs"))

@@ -1,0 +1,41 @@
+import __spark_entry__
+from loomgraph.llm import scans
+
+PAGE = ["The old clerk waited by the har-", "bour wall. A stranger laughed."] + ["Another lamp was lost."] * 10
+
+
+def _story():
+    pages = [[f"{n}   THE GLASS TIDE", *PAGE] for n in range(40, 44)]
+    return "\n".join(x for p in pages for x in p)
+
+
+def test_edges_and_broken_words():
+    noise, heads, paged = scans.find_edges(_story())
+    assert {i: k for i, k in noise.items()} == {13 * j: {"page_number", "running_head"} for j in range(4)}
+    assert paged and len(heads) == 1
+    words, broken = scans.running_words(_story(), noise)
+    assert broken == {1, 14, 27, 40} and "harbour" in {w for w, *_ in words}
+
+
+def test_section_numbers_are_no_noise():
+    story = "\n".join(x for n, k in ((1, 12), (2, 19), (3, 14)) for x in [str(n), "", *["A lamp was lost."] * k, ""])
+    assert scans.find_edges(story)[0] == {}
+
+
+def test_misread_words():
+    words, _ = scans.running_words("the po5tman came\non the 3rd of March", {})
+    assert scans.misread_lines(words, {"po5tman": "postman"}) == {0}
+
+
+def test_repaired_text():
+    text = scans.repair(_story(), scans.find_edges(_story())[0], {})
+    assert "harbour wall" in text and "GLASS TIDE" not in text and "40" not in text
+    assert scans.repair("A clean story.\n\nIts end.", {}, {}) == "A clean story.\n\nIts end."
+
+
+def test_p2_is_registered_over_both_tables(spark):
+    found = __spark_entry__.queries()["p2_found"](spark, "/root/testdata/sf0.01")
+    assert found.columns == ["table_name", "item_id", "line_no", "noise_kind"]
+    kinds = {(r["table_name"], r["noise_kind"]) for r in found.collect()}
+    assert {t for t, _ in kinds} == {"articles", "source_docs"}
+    assert {k for _, k in kinds} == {"hyphenation", "misread", "running_head", "page_number"}
