@@ -222,22 +222,19 @@ def score(documents: DataFrame, rules: list, weights: tuple[float, ...], thresho
     return texts.mapInPandas(run, "doc_id bigint, areas array<struct<area:string,probability:double>>")
 
 
-def widen_sample(documents: DataFrame, sample: DataFrame, rules: list, weights: tuple[float, ...], most: int, sure: float = 0.85) -> DataFrame:
-    """``sample`` with documents that the rules so far are sure about, up to about ``most`` rows.
+def widen_sample(documents: DataFrame, sample: DataFrame, rules: list, weights: tuple[float, ...], sure: float = 0.85) -> DataFrame:
+    """``sample`` with all documents that the rules so far are sure about.
 
     A document joins with its areas if all it could have are at least ``sure``,
     or as 'none' if no area has a twentieth.
     """
     texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
-    n = texts.count()
-    if n > most:
-        texts = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * most / n))
     scored = score(texts, rules, weights, 0.05, 3)
     certain = scored.where(F.forall("areas", lambda a: a["probability"] >= sure) & (F.size("areas") <= 2))
     names = F.transform("areas", lambda a: a["area"])
     certain = certain.select("doc_id", F.when(F.size("areas") > 0, F.array_sort(names)).otherwise(F.array(F.lit(NO_AREA))).alias("areas"))
     certain = certain.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    return sample.select("doc_id", "text", "areas").unionByName(texts.join(F.broadcast(certain), "doc_id").select("doc_id", "text", "areas"))
+    return sample.select("doc_id", "text", "areas").unionByName(texts.join(certain, "doc_id").select("doc_id", "text", "areas"))
 
 
 def assign_subjects(
@@ -253,9 +250,9 @@ def assign_subjects(
 
     Rules and calibration are fitted on a sample of at most about
     ``most_labelled`` labelled documents; their number bounds what is broadcast.
-    In each of ``rounds`` the rules are mined again with the documents they are
-    sure about (at most about ``most_labelled`` more, chosen by hash), so that
-    few labels suffice; the calibration always uses the given labels only.
+    In each of ``rounds`` the rules are mined again with all documents they are
+    sure about, so that few labels suffice; the calibration always uses the
+    given labels only.
     Every document is scored whole: each passage votes for the area with the
     most rule evidence, and votes, share of votes and share of passages give the
     probability; an area comes out from ``threshold`` on.
@@ -269,7 +266,7 @@ def assign_subjects(
     rules = mine_rules(sample)
     weights = calibrate(sample, rules) if rules else DEFAULT_WEIGHTS
     for _ in range(rounds if rules else 0):
-        wider = cut_lineage(widen_sample(documents, sample, rules, weights, most_labelled), "wider")
+        wider = cut_lineage(widen_sample(documents, sample, rules, weights), "wider")
         rules = mine_rules(wider)
         weights = calibrate(sample, rules)
     scored = score(documents, rules, weights, threshold, most_areas).select("doc_id", F.explode("areas").alias("a"))

@@ -1,4 +1,7 @@
+import inspect
+
 import __spark_entry__
+from loomgraph.llm import subjects
 
 DATA = "/root/testdata/sf0.01"
 
@@ -18,3 +21,13 @@ def test_p9_is_registered_over_all_documents(spark):
 def test_p9_shares_are_registered(spark):
     shares = __spark_entry__.queries()["p9_shares"](spark, DATA).collect()
     assert shares and all(0 < r["share"] <= 1 for r in shares)
+
+
+def test_widening_takes_every_sure_document(spark):
+    """More documents than the 20,000 that a sample was once cut to."""
+    n = 25_000
+    documents = spark.range(n).selectExpr("id AS doc_id", "'the court heard the judge. the court heard the judge.' AS text")
+    sample = documents.where("doc_id < 10").selectExpr("doc_id", "text", "array('law') AS areas")
+    given = {"most": 20_000} if "most" in inspect.signature(subjects.widen_sample).parameters else {}
+    wider = subjects.widen_sample(documents, sample, [(("judge",), "law", 0.9)], subjects.DEFAULT_WEIGHTS, **given)
+    assert wider.count() == n
