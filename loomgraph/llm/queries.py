@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, pairs, scans, splitting, subjects, survivors, tokenizer
+from loomgraph.llm import mixing, pairs, scans, splitting, subjects, survivors, tokenizer, variants
 from loomgraph.plans.registry import Registry
 from loomgraph.session import read_table
 
@@ -133,3 +133,20 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_repaired")
 def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repaired(read_table(spark, sf_dir, "articles"), read_table(spark, sf_dir, "source_docs"))
+
+
+# 4: variant spellings of names
+
+
+def _name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.name_groups(read_table(spark, sf_dir, "entities"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.linked_pairs(_name_groups(spark, sf_dir))
+
+
+@query("p4_groups")
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_groups(spark, sf_dir).groupBy("id").agg(F.min("cluster").alias("cluster"))
