@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -49,12 +53,12 @@ REFUSALS = [
     r"(?:抱歉|对不起|很抱歉|很遗憾|不好意思)[，,]?我?(?:无法|不能|不便|没法)", r"作为(?:一个|一名)?(?:ai|人工智能)?助手[，,]?我?(?:无法|不能|不便)", r"我(?:无法|不能|不便)(?:回答|提供|协助|帮助)",
 ]
 
-#: Frequent words by which a language is told.
-FREQUENT_WORDS = {
-    "en": "the a an of and to in was were is are had has have not this with on at by for from as but who what where when why how did do does which one it his her he she they there be been had between another both neither then while only".split(),
-    "fr": "le la les un une des du de et est était l d qu que qui ne pas sans près où je n à au aux ce cette dans avec pour sur par il elle y avait après avant pendant personne pourquoi comment quoi soir là".split(),
-    "de": "der die das den dem des ein eine einen und ist war nicht mit auf an am im zum zur von wo wer was wie warum nach vor hatte haben habe ich nie es waren dort bis sahen fand niemand noch wieder".split(),
-    "es": "el la los las un una de del y es era no con sin en al que quién qué dónde cómo por para antes después junto había estaba allí hasta nadie sabía su se nunca he visto lo aquella noche".split(),
+#: Function words, by which texts are found that show what a language looks like.
+FUNCTION_WORDS = {
+    "en": "the a an of and to in was were is are had has have not this with on at by for from as but who what where when why how did do does which".split(),
+    "fr": "le la les un une des du de et est était l d qu que qui ne pas sans où je à au aux ce cette dans avec pour sur par il elle avait".split(),
+    "de": "der die das den dem des ein eine einen und ist war nicht mit auf an am im zum zur von wo wer was wie warum nach vor hatte habe ich".split(),
+    "es": "el la los las un una de del y es era no con sin en al que quién qué dónde cómo por para su se lo había estaba".split(),
 }
 
 _BLANK = r"[\s\p{Z}​‌‍﻿]+"
@@ -62,7 +66,10 @@ _ENDED = "[.!?。！？][\"'”’»“)\\]」』]*$"
 _DOTS = "(?:\\.\\.|…)[\"'”’»“)\\]」』]*$"
 _CUT_MARK = r"(?i)\[\s*(?:\.\.\.|…|truncated|cut|snip(?:ped)?|omitted|content omitted|abridged|gekürzt|tronqué|coupé|truncado|cortado|截断|省略)[^\]]{0,20}\]"
 _LIST = r"(?s)^(?:[-*•]|\d+[.)])\s"
-LONG_ENOUGH = 25  # shorter responses are answers in a word or two, not shortened versions
+_BARE_ITEM = r"\n\s*(?:\d+[.)]|[-*•])$"
+_LETTERS = re.compile(r"[^\W\d_]+")
+LEAST_ODDS = 8.0  # log odds over the next language from which a text's language is told
+FEWEST_WORDS = 4  # names and numbers, which have no language, are shorter
 
 
 def bare(c: Column) -> Column:
@@ -78,26 +85,58 @@ def unended(c: Column) -> Column:
     return ~c.rlike(_ENDED) | c.rlike(_DOTS)
 
 
-def language_of(c: Column) -> Column:
-    """en, fr, de, es by frequent words, zh by characters; null if the signs are too few or equal."""
-    text = F.regexp_replace(F.lower(c), r"\[[a-z_]+\]", " ")
-    han = F.length(F.regexp_replace(text, r"[^一-鿿]", ""))
-    latin = F.length(F.regexp_replace(text, r"[^a-zà-öø-ÿœ]", ""))
-    words = F.split(text, r"[^\p{L}]+")
+def _words(text: str | None) -> list[str]:
+    return _LETTERS.findall(re.sub(r"\[[A-Z_]+\]", " ", text or "").lower())
 
-    def count(of: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(of)))
 
-    n = {k: count(v) for k, v in FREQUENT_WORDS.items()}
-    best = F.greatest(*n.values())
-    out = F.when((han > 0) & (han * 3 > latin), "zh")
-    for k in n:
-        clear = F.lit(True)
-        for other in n:
-            if other != k:
-                clear &= n[other] < n[k]
-        out = out.when((best >= 2) & clear, k)
-    return out
+def is_han(text: str | None) -> bool:
+    han = len(re.findall("[一-鿿]", text or ""))
+    return han > 0 and han * 3 > sum(map(len, _LETTERS.findall(re.sub(r"\[[A-Z_]+\]|[一-鿿]", " ", text or ""))))
+
+
+def _grams(words: list[str]) -> list[str]:
+    return [f" {w} "[i : i + 3] for w in words for i in range(len(w))]
+
+
+def language_profiles(texts: DataFrame) -> dict[str, dict[str, float]]:
+    """The log share of each character trigram in each language, counted over all of ``text``.
+
+    A text counts for a language if it has two or more of its function words and
+    more than of any other's.  Trigrams seen once are left to the smoothing.
+    What reaches the driver are trigrams of letters, as many as languages have.
+    """
+    sets = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {k: Counter() for k in sets}
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = _words(text)
+                n = sorted(((sum(w in v for w in words), k) for k, v in sets.items()), reverse=True)
+                if n[0][0] >= 2 and n[0][0] > n[1][0] and not is_han(text):
+                    seen[n[0][1]].update(_grams(words))
+        yield pd.DataFrame([(k, g, c) for k, v in seen.items() for g, c in v.items()], columns=["lang", "gram", "n"])
+
+    rows = texts.select("text").mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").collect()
+    out: dict[str, dict[str, float]] = {k: {} for k in sets}
+    for r in rows:
+        out[r["lang"]][r["gram"]] = r["n"]
+    for k, v in out.items():
+        total = sum(v.values()) + 2000
+        out[k] = {g: math.log((c + 0.5) / total) for g, c in v.items()} | {"": math.log(0.5 / total)}
+    return {k: v for k, v in out.items() if len(v) > 1}
+
+
+def language_of(text: str | None, profiles: dict[str, dict[str, float]]) -> str | None:
+    """'zh' by its characters, else the language whose trigrams fit clearly best, else None."""
+    if is_han(text):
+        return "zh"
+    words = _words(text)
+    if len(words) < FEWEST_WORDS:
+        return None
+    grams = _grams(words)
+    odds = sorted(((sum(v.get(g, v[""]) for g in grams), k) for k, v in profiles.items()), reverse=True)
+    return odds[0][1] if len(odds) > 1 and odds[0][0] - odds[1][0] >= LEAST_ODDS else None
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +159,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _inside_word(short: str, long: str) -> bool:
     a, b = short[-1:], long[len(short) : len(short) + 1]
-    return a.isalnum() and b.isalnum() and not ("一" <= b <= "鿿")
+    return a.isalnum() and b.isalnum() and not ("一" <= b <= "鿿") and " " in short
 
 
 def _rows(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
@@ -129,31 +168,33 @@ def _rows(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
 
 
 def shortened_versions(texts: DataFrame) -> DataFrame:
-    """Those of the distinct ``text`` that another one continues inside a word.
+    """Those of the distinct ``text`` of two or more words that another one continues inside a word.
 
     The texts are range-partitioned and sorted, so that the continuation of a
-    text is its next neighbour; the two ends of each partition (rows as many as
-    partitions) are compared apart.
+    text is its next neighbour; one that goes on after a whole word, which
+    speaks against a cut, sorts before one that goes on inside it.  The two ends
+    of each partition (rows as many as partitions) are compared apart.
     """
     ordered = texts.repartitionByRange("text").sortWithinPartitions("text")
     runs = cut_lineage(ordered.mapInArrow(_runs, "at int, kind int, text string"), "runs")
     inner = runs.where("kind = 2").select("text")
     nxt = F.lead("text").over(Window.orderBy("at", "kind"))
     ends = runs.where("kind < 2").withColumn("next", nxt).where("kind = 1 and next is not null")
-    goes_on = F.expr("startswith(next, text) and substring(next, length(text) + 1, 1) rlike '[\\\\p{L}\\\\p{N}&&[^\\\\p{IsHan}]]' and text rlike '[\\\\p{L}\\\\p{N}]$'")
+    goes_on = F.expr("startswith(next, text) and substring(next, length(text) + 1, 1) rlike '[\\\\p{L}\\\\p{N}&&[^\\\\p{IsHan}]]' and text rlike ' ' and text rlike '[\\\\p{L}\\\\p{N}]$'")
     return inner.unionByName(ends.where(goes_on).select("text")).distinct()
 
 
-def length_spikes(responses: DataFrame, least: int = 30, times: float = 5.0, width: int = 10) -> DataFrame:
+def length_spikes(responses: DataFrame, sigmas: float = 6.0, width: int = 10) -> DataFrame:
     """Lengths at which responses without an end pile up: ``n_chars``.
 
-    A length counts if at least ``least`` unended responses have it, ``times``
-    as many as the lengths within ``width`` of it have on average.
+    A length counts if its unended responses exceed the mean of the lengths
+    within ``width`` of it by ``sigmas`` times the spread a count of that mean
+    has by chance; so the rule is the same for a table of any size.
     """
     hist = responses.where(unended(F.col("text"))).groupBy(F.length("text").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
     near = Window.orderBy("n_chars").rangeBetween(-width, width)  # one row a length
     others = (F.sum("n").over(near) - F.col("n")) / (2 * width)
-    return hist.withColumn("others", others).where((F.col("n") >= least) & (F.col("n") > times * F.greatest("others", F.lit(1.0)))).select("n_chars")
+    return hist.withColumn("others", others).where(F.col("n") > F.col("others") + sigmas * F.sqrt(F.col("others") + 1)).select("n_chars")
 
 
 def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
@@ -164,38 +205,54 @@ def find_defects(pairs: DataFrame, key: str, prompt: str, response: str) -> Data
     announced; 'refusal' if, after politeness, it begins by declining in the
     answerer's own voice (quotations do not count); 'other_language' if prompt
     and response are told to be of two languages; 'truncated' if a part is
-    marked as cut, or it does not end as a sentence does, unless it is a short
-    answer without any sentence or a list; a list, too, is truncated if another
-    response continues it inside a word or its length is one where unended
-    responses pile up.  In this order the first counts.
+    marked as cut, a list stops at an item without text, or it does not end as a
+    sentence does, unless it is a short answer without any sentence or a list;
+    these, too, are truncated if another response continues them inside a word
+    or their length is one where unended responses pile up.  In this order the
+    first counts.
 
     A null response is empty; a null or empty prompt can be neither copied nor
     of another language; repeated rows give one row; rows with a null key give
     none; very long texts are treated whole; an empty table gives none; other
     columns are ignored.
     """
+    said, asked = letters(F.col("text")), letters(F.col("prompt"))
     rows = pairs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(prompt), F.lit("")).alias("prompt"), bare(F.col(response)).alias("text"))
-    is_open = unended(F.col("text")) & (F.length("text") > LONG_ENOUGH)
-    spikes = length_spikes(rows.where(is_open).select("text").distinct()).withColumn("spike", F.lit(True))
-    cut = shortened_versions(rows.where(F.length("text") > LONG_ENOUGH).select("text").distinct()).where(unended(F.col("text"))).withColumn("cut", F.lit(True))
-    rows = rows.withColumn("open_chars", F.when(is_open, F.length("text")))
-    rows = rows.join(spikes.withColumnRenamed("n_chars", "open_chars"), "open_chars", "left").join(cut, "text", "left")
-
+    profiles = rows.sparkSession.sparkContext.broadcast(language_profiles(rows.select(F.explode(F.array("prompt", "text")).alias("text"))))
+
+    def languages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str | None] = {}  # prompts recur
+        for pdf in batches:
+            if len(known) > 100_000:
+                known.clear()
+            asked_in = [known[p] if p in known else known.setdefault(p, language_of(p, profiles.value)) for p in pdf["prompt"]]
+            said_in = [language_of(t, profiles.value) for t in pdf["text"]]
+            yield pdf.assign(foreign=[a is not None and b is not None and a != b for a, b in zip(asked_in, said_in)])
+
+    # what a row shows by itself
     text, low = F.col("text"), F.lower(F.col("text"))
-    said, asked = letters(text), letters(F.col("prompt"))
     empty = said.isin(EMPTY_FORMS)
     around = F.trim(F.regexp_replace(F.lower(F.replace(letters_spaced(text), F.ltrim(letters_spaced(F.col("prompt"))), F.lit(" "))), r"[^\p{L}\p{N}]+", " "))
     copy = (asked != "") & F.contains(said, asked) & around.rlike(f"^(?:{COPY_FRAME}(?: |$))*$")
     refusal = low.rlike(f"^(?:{POLITE})*(?:{'|'.join(REFUSALS)})")
-    asked_in, said_in = language_of(F.col("prompt")), language_of(text)
-    other = F.coalesce(asked_in != said_in, F.lit(False))
     # a word or two, or a list of names, needs no full stop
     has_sentence = F.regexp_replace(text, r"(?s).$", "").rlike("[.!?。！？]") | text.rlike("[:：,，;；]$")
     short = ~has_sentence & (F.size(F.split(text, r"\s+")) <= 6) & (F.length(F.regexp_replace(text, r"[^一-鿿]", "")) <= 12)
-    evidence = F.col("cut").isNotNull() | F.col("spike").isNotNull()
-    truncated = text.rlike(_CUT_MARK) | (unended(text) & (evidence | (~short & ~text.rlike(_LIST))))
-    defect = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(other, "other_language").when(truncated, "truncated")
-    return rows.select(F.col("key").alias(key), defect.alias("defect")).where("defect is not null").distinct()
+    is_list = text.rlike(_LIST)
+    cut_off = text.rlike(_CUT_MARK) | (is_list & text.rlike(_BARE_ITEM)) | (unended(text) & ~short & ~is_list)
+    own = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(F.col("foreign"), "other_language").when(cut_off, "truncated")
+    judged = rows.mapInPandas(languages, "key string, prompt string, text string, foreign boolean").select("key", "text", own.alias("defect"))
+    judged = cut_lineage(judged, "judged")
+    found = judged.where("defect is not null").select("key", "defect")
+
+    # what only the other responses show of short answers and lists
+    open_ = judged.where(F.col("defect").isNull() & unended(text)).select("key", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n_chars"))
+    spikes = length_spikes(judged.where("text <> ''").select("text").distinct())
+    cut = shortened_versions(judged.where("text <> ''").select("text").distinct()).where(unended(text)).select(F.xxhash64("text").alias("h"), F.col("text").alias("cut"))
+    by_length = open_.join(spikes, "n_chars", "left_semi").where(~short)
+    continued = open_.join(cut, (open_["h"] == cut["h"]) & (F.col("text") == F.col("cut")), "left_semi")
+    late = by_length.select("key").unionByName(continued.select("key")).select("key", F.lit("truncated").alias("defect"))
+    return found.unionByName(late).distinct().select(F.col("key").alias(key), "defect")
 
 
 def letters_spaced(c: Column) -> Column:

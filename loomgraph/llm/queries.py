@@ -43,7 +43,9 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 6: surviving records
 
-_STAND_INS = ", ".join(f"'{s}'" for s in survivors.STAND_INS)
+# written out, so that the twin doesn't depend on the operator's list
+_STAND_INS = """'unknown', 'n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', 'tbd', 'tba', 'not mentioned', 'not known',
+  'not specified', 'unspecified', 'not available', 'to be added', 'to be determined', 'missing', 'undefined'"""
 _SAYS = lambda c: f"""(regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') AND trim(lower({c}), ' \t\r\n') NOT IN ({_STAND_INS})
   AND regexp_replace(trim(lower({c}), ' \t\r\n'), '^[(\\[<{{]+|[)\\]>}}.!?]+$', '', 'g') NOT IN ({_STAND_INS}))"""
 _P6_SQL = f"""
@@ -63,7 +65,7 @@ SELECT id, field, record_id FROM ranked WHERE rn = 1
 
 @query("p6_found", _P6_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = survivors.surviving_values(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "origins"))
+    v = survivors.surviving_fields(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "origins"))
     return v.select("id", "field", "record_id")
 
 
@@ -72,6 +74,13 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "origins"))
 
 
+@query("p6_layers")
+def p6_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From which dominance layer values come."""
+    v = survivors.surviving_fields(read_table(spark, sf_dir, "entities"), read_table(spark, sf_dir, "origins"))
+    return v.groupBy("field", "layer").agg(F.count(F.lit(1)).alias("values"))
+
+
 # 7: encoding
 
 

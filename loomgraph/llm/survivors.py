@@ -1,13 +1,18 @@
 """One surviving record for each group of duplicates, by skylines.
 
-A record's worth for a field is the vector (value present, trust, recency).
-Per field the records that no other one dominates form the first layer, those
-undominated without them the second, and so on; the policy then takes, layer by
-layer, the first present value in the order trust, recency, smallest record id.
+A record is the vector (completeness, trust, recency).  Of the records of an id
+those that no other one dominates form the first layer, those undominated
+without them the second, and so on.  A field takes its value from the first
+layer in which it is not null, by the policy trust, recency, smallest record id;
+a deeper layer is looked into as long as it may hold a record that the policy
+prefers to the one found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,62 +65,90 @@ def duplicated_ids(entities: DataFrame) -> DataFrame:
     return n.where("a < b").select("id")
 
 
-def skyline_layers(best: DataFrame, group: list[str]) -> DataFrame:
-    """``best`` (the most recent row of each trust, within ``group``) with its dominance ``layer``.
+def candidates(entities: DataFrame, origins: DataFrame) -> DataFrame:
+    """The records that may give an id a field: ``id, records: array<struct<record_id, trust, recency, completeness, fields>>``.
 
-    Taken by falling trust, a row is dominated by every earlier one at least as
-    recent; its layer is one more than the highest layer of those, which for two
-    criteria is the length of the longest chain of dominance that ends in it.
-    Groups have one row per trust value, so they are as small as the table of origins.
-    """
-    rows = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("trust")).alias("key"), "trust", "recency", "pick"))).alias("rows"))
-    layered = F.aggregate(
-        "rows",
-        F.expr("cast(array() as array<struct<trust:int,recency:bigint,pick:struct<record_id:bigint,value:array<string>>,layer:int>>)"),
-        lambda acc, r: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    r["trust"].alias("trust"), r["recency"].alias("recency"), r["pick"].alias("pick"),
-                    (F.lit(1) + F.coalesce(F.array_max(F.transform(F.filter(acc, lambda x: x["recency"] >= r["recency"]), lambda x: x["layer"])), F.lit(0))).cast("int").alias("layer"),
-                )
-            ),
-        ),
-    )
-    return rows.select(*group, F.explode(layered).alias("r")).select(*group, "r.trust", "r.recency", "r.pick", "r.layer")
-
-
-def field_skylines(entities: DataFrame, origins: DataFrame) -> DataFrame:
-    """The dominance layers of each field of each duplicated id: ``id, field, trust, recency, pick, layer``.
-
-    Rows are first reduced, before the shuffle, to the best one of each (id,
-    field, trust): the latest, then the smallest record id.  So a hot id never
-    gathers in one task.  Unknown and null origins have trust 0; a null time is
-    older than any.
+    Of the records of one id and trust that have a field only the latest (then
+    the smallest record id) can give it, whatever the layers, so the others go
+    before the first shuffle of groups; an id keeps as many records as fields
+    times origins at most, and a hot id never gathers in one task.  Only
+    duplicated ids are looked at, and no value is carried, only which fields
+    have one.
     """
     trust = origins.where("origin is not null").groupBy("origin").agg(F.max("trust").cast("int").alias("trust"))
-    rows = field_values(entities).join(trust, "origin", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
+    fields = F.array_distinct(F.transform(present_fields(), lambda f: f))
     recency = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(2**63)))
-    best = rows.groupBy("id", "field", "trust").agg(
-        F.max_by(F.struct("record_id", "value"), F.struct(recency.alias("t"), (-F.col("record_id")).alias("r"))).alias("pick"),
-        F.max(recency).alias("recency"),
-    )
-    return skyline_layers(best.join(duplicated_ids(entities), "id", "left_semi"), ["id", "field"])
+    rows = entities.where("id is not null").select("id", "record_id", "origin", recency.alias("recency"), fields.alias("fields"))
+    rows = rows.join(duplicated_ids(entities), "id", "left_semi").join(trust, "origin", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
+    each = rows.select("id", "trust", "recency", "record_id", F.size("fields").alias("completeness"), F.explode("fields").alias("field"))
+    best = each.groupBy("id", "field", "trust").agg(F.max(F.struct("recency", (-F.col("record_id")).alias("r"), "completeness")).alias("b"))
+    one = best.groupBy("id", (-F.col("b.r")).alias("record_id"), "trust", F.col("b.recency").alias("recency"), F.col("b.completeness").alias("completeness")).agg(F.collect_list("field").alias("fields"))
+    return one.groupBy("id").agg(F.collect_list(F.struct("record_id", "trust", "recency", "completeness", "fields")).alias("records"))
+
+
+def present_fields() -> Column:
+    """The names of a record's fields with a value that counts."""
+    description = F.when(says_something(F.col("description")) & is_finished(F.col("description")), F.lit("description"))
+    aliases = F.when(F.exists("aliases", says_something), F.lit("aliases"))
+    entries = F.filter(F.map_entries(F.coalesce("properties", F.create_map().cast("map<string,string>"))), lambda e: says_something(e["value"]))
+    return F.filter(F.concat(F.array(description, aliases), F.transform(entries, lambda e: F.concat(F.lit("properties."), e["key"]))), lambda x: x.isNotNull())
+
+
+def dominance_layers(records: list[dict]) -> list[list[dict]]:
+    """Records by layer: each is dominated by one of the layer before, and by none of its own."""
+
+    def dominates(a: dict, b: dict) -> bool:
+        x, y = ((r["completeness"], r["trust"], r["recency"]) for r in (a, b))
+        return x != y and all(p >= q for p, q in zip(x, y))
+
+    layers, left = [], records
+    while left:
+        top = [r for r in left if not any(dominates(o, r) for o in left)]
+        layers.append(top)
+        left = [r for r in left if not any(r is t for t in top)]
+    return layers
+
+
+def fill_fields(records: list[dict]) -> dict[str, tuple[int, int]]:
+    """The record that gives each field, and its layer (from 1)."""
+    order = lambda r: (-r["trust"], -r["recency"], r["record_id"])
+    layers = dominance_layers(records)
+    out: dict[str, tuple[tuple, int, int]] = {}
+    for depth, layer in enumerate(layers, 1):
+        best_here = min(order(r) for r in layer)
+        if depth > 1 and out and len(out) == n_fields and all(v[0] < best_here for v in out.values()):
+            break  # what is deeper is dominated by this layer, and the policy prefers what has been found
+        if depth == 1:
+            n_fields = len({f for r in records for f in r["fields"]})
+        for r in layer:
+            for f in r["fields"]:
+                if f not in out or order(r) < out[f][0]:
+                    out[f] = (order(r), r["record_id"], depth)
+    return {f: (i, d) for f, (_, i, d) in out.items()}
+
+
+def surviving_fields(entities: DataFrame, origins: DataFrame) -> DataFrame:
+    """``id, field, record_id, layer``: for each duplicated id and field, the record whose value survives, and its dominance layer.
+
+    Null or empty fields everywhere give no row; ids with one record (or one
+    repeated) give none; ties go to the smallest record id; null ids belong to
+    no group; unknown and null origins have trust 0; a null time is older than
+    any; an empty table gives an empty result; other columns are ignored.
+    """
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, f, r, d) for i, records in zip(pdf["id"], pdf["records"]) for f, (r, d) in fill_fields(list(records)).items()]
+            yield pd.DataFrame(rows, columns=["id", "field", "record_id", "layer"])
+
+    return candidates(entities, origins).mapInPandas(fill, "id string, field string, record_id bigint, layer int")
 
 
 def surviving_values(entities: DataFrame, origins: DataFrame) -> DataFrame:
-    """``id, field, record_id, value``: for each duplicated id and field, the value that survives.
-
-    From the first layer with a value (the layers hold present values only, so
-    an absent one is filled from the next record in the order of dominance) the
-    policy picks by trust, then recency, then record id.  Null or empty fields
-    everywhere give no row; ids with one record (or one repeated) give none;
-    ties go to the smallest record id; null ids belong to no group; an empty
-    table gives an empty result; other columns are ignored.
-    """
-    first = field_skylines(entities, origins)
-    win = first.groupBy("id", "field").agg(F.min_by("pick", F.struct("layer", (-F.col("trust")).alias("t"), (-(F.col("recency") + 1)).alias("u"))).alias("pick"))
-    return win.select("id", "field", F.col("pick.record_id").alias("record_id"), F.col("pick.value").alias("value"))
+    """``surviving_fields`` with each ``value``, fetched from its record at the end."""
+    kept = surviving_fields(entities, origins)
+    values = field_values(entities).select("id", "record_id", "field", "value")
+    return kept.join(values.dropDuplicates(["id", "record_id", "field"]), ["id", "record_id", "field"])
 
 
 def surviving_records(entities: DataFrame, origins: DataFrame) -> DataFrame:
