@@ -10,6 +10,7 @@ prefers to the one found.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,10 +27,10 @@ _BLANKS = r"[\s 　​﻿]+"
 
 
 def says_something(c: Column) -> Column:
-    """True for a text that is not null, blank, only signs, or a stand-in."""
-    bare = F.lower(F.regexp_replace(c, f"^{_BLANKS}|{_BLANKS}$", ""))
-    inner = F.regexp_replace(bare, r"^[\(\[<{]+|[\)\]>}.!?]+$", "")
-    return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(STAND_INS) & ~inner.isin(STAND_INS), F.lit(False))
+    """True for a text that is not null, blank, only signs, or a stand-in, perhaps in brackets."""
+    stand_in = "|".join(re.escape(s) for s in STAND_INS)
+    nothing = rf"(?i)^{_BLANKS[:-1]}*[(\[<{{]*(?:{stand_in})[)\]>}}.!?]*{_BLANKS[:-1]}*$"
+    return F.coalesce(c.rlike(r"[\p{L}\p{N}]") & ~c.rlike(nothing), F.lit(False))
 
 
 def is_finished(c: Column) -> Column:
