@@ -21,12 +21,11 @@ _WORD = re.compile(r"[^\W\d_一-鿿]+(?:['’-][^\W\d_一-鿿]+)*|[一-鿿]+")
 _PASSAGE = re.compile(r"[.!?。！？\n\r]+")
 LONGEST_PASSAGE = 40  # words; longer ones are cut
 FEWEST_WORDS = 3
-MOST_ITEMS = 10  # screened terms of a passage that enter a transaction of the fit
+MOST_TERMS = 3  # terms of a rule
 
-#: Used where fewer than ``FEWEST_CALIBRATED`` labelled (document, area) pairs can be had:
+#: What the weights are drawn to where labels are few:
 #: bias, votes (of 6), share of the votes, share of the passages (of a half).
-DEFAULT_WEIGHTS = (-16.0, 12.0, 20.0, 8.0)
-FEWEST_CALIBRATED = 60
+PRIOR_WEIGHTS = (-16.0, 12.0, 20.0, 8.0)
 
 
 def passages(text: str | None) -> list[list[str]]:
@@ -107,7 +106,7 @@ def mine_rules(
         for pdf in batches:
             out = []
             for terms, areas in zip(pdf["terms"], pdf["areas"]):
-                kept = sorted((t for t in terms if t in strength), key=lambda t: (-strength[t], t))[:MOST_ITEMS]
+                kept = [t for t in terms if t in strength]
                 if kept:
                     out.append([*kept, *(_CLASS + a for a in areas)])
             yield pd.DataFrame({"items": out})
@@ -118,7 +117,7 @@ def mine_rules(
         return []
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_passages / n), minConfidence=least_confidence).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(_CLASS) & ~F.exists("antecedent", lambda t: t.startswith(_CLASS)))
-    found = found.where(F.size("antecedent") <= 3).select("antecedent", F.element_at("consequent", 1).alias("area"), "confidence", "support")
+    found = found.where(F.size("antecedent") <= MOST_TERMS).select("antecedent", F.element_at("consequent", 1).alias("area"), "confidence", "support")
     rules = [(tuple(sorted(r["antecedent"])), r["area"][1:], r["confidence"], r["support"]) for r in found.collect()]
     # the fewer the passages, the nearer to a half
     conf = {(x, a): (s * n + 1) / (s * n / c + 2) for x, a, c, s in rules if c > 0}
@@ -136,26 +135,29 @@ def prune(conf: dict[tuple[tuple[str, ...], str], float]) -> list[tuple[tuple[st
 
 
 class Matcher:
-    """Rules indexed by their first term."""
+    """Rules indexed by their first term, as log odds by area code."""
 
     def __init__(self, rules: list[tuple[tuple[str, ...], str, float]], least: float = 0.6):
         self.least = least
-        self.by_first: dict[str, list[tuple[frozenset, str, float]]] = defaultdict(list)
+        self.by_first: dict[str, list[tuple[frozenset, str, float, float]]] = defaultdict(list)
         for x, a, c in rules:
-            self.by_first[x[0]].append((frozenset(x[1:]), a, c))
+            self.by_first[x[0]].append((frozenset(x[1:]), a, c, math.log(c / (1 - c))))
+        self.terms = {t for x, _, _ in rules for t in x}
 
     def vote(self, terms: list[str]) -> str | None:
         """The area with the most evidence (sum of log odds) among the rules a passage matches."""
-        have = set(terms)
+        have = self.terms.intersection(terms)
+        if not have:
+            return None
         evidence: dict[str, float] = defaultdict(float)
         best: dict[str, float] = defaultdict(float)
         for t in have:
-            for rest, a, c in self.by_first.get(t, ()):
+            for rest, a, c, odds in self.by_first.get(t, ()):
                 if rest <= have:
-                    evidence[a] += math.log(c / (1 - c))
+                    evidence[a] += odds
                     best[a] = max(best[a], c)
         strong = [(e, a) for a, e in evidence.items() if best[a] >= self.least]
-        return max(strong, key=lambda x: (x[0], x[1]))[1] if strong else None
+        return max(strong)[1] if strong else None
 
     def evidence(self, text: str | None) -> dict[str, tuple[float, float, float]]:
         """For each area voted for: votes (of 6), share of the votes, share of the passages (of a half)."""
@@ -170,16 +172,20 @@ class Matcher:
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> tuple[float, ...]:
-    """Logistic regression by Newton steps; bias first."""
-    if len(y) < FEWEST_CALIBRATED or y.sum() < 10 or (1 - y).sum() < 10:
-        return DEFAULT_WEIGHTS
+    """Logistic regression by Newton steps, drawn to ``PRIOR_WEIGHTS`` the more, the fewer the cases; bias first."""
     z = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(z.shape[1])
-    keep = np.eye(len(w)) * ridge
-    keep[0, 0] = 1e-6
+    prior = np.array(PRIOR_WEIGHTS)
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + ridge / 2 * ((w - prior) ** 2).sum())
+
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * (w - prior))
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-6:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -222,27 +228,12 @@ def score(documents: DataFrame, rules: list, weights: tuple[float, ...], thresho
     return texts.mapInPandas(run, "doc_id bigint, areas array<struct<area:string,probability:double>>")
 
 
-def widen_sample(documents: DataFrame, sample: DataFrame, rules: list, weights: tuple[float, ...], sure: float = 0.85) -> DataFrame:
-    """``sample`` with all documents that the rules so far are sure about.
-
-    A document joins with its areas if all it could have are at least ``sure``,
-    or as 'none' if no area has a twentieth.
-    """
-    texts = documents.select("doc_id", "text").where("text is not null and text <> ''")
-    scored = score(texts, rules, weights, 0.05, 3)
-    certain = scored.where(F.forall("areas", lambda a: a["probability"] >= sure) & (F.size("areas") <= 2))
-    names = F.transform("areas", lambda a: a["area"])
-    certain = certain.select("doc_id", F.when(F.size("areas") > 0, F.array_sort(names)).otherwise(F.array(F.lit(NO_AREA))).alias("areas"))
-    certain = certain.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    return sample.select("doc_id", "text", "areas").unionByName(texts.join(certain, "doc_id").select("doc_id", "text", "areas"))
-
-
 def assign_subjects(
     documents: DataFrame,
     labels: DataFrame,
     areas: DataFrame,
     most_labelled: int = 20_000,
-    rounds: int = 1,
+    calibration_share: float = 0.5,
     threshold: float = 0.5,
     most_areas: int = 2,
 ) -> DataFrame:
@@ -250,9 +241,9 @@ def assign_subjects(
 
     Rules and calibration are fitted on a sample of at most about
     ``most_labelled`` labelled documents; their number bounds what is broadcast.
-    In each of ``rounds`` the rules are mined again with all documents they are
-    sure about, so that few labels suffice; the calibration always uses the
-    given labels only.
+    The weights come from ``calibration_share`` of them, by rules mined from the
+    others, so that rules are not judged by the documents they come from; the
+    rules themselves are then mined from all.
     Every document is scored whole: each passage votes for the area with the
     most rule evidence, and votes, share of votes and share of passages give the
     probability; an area comes out from ``threshold`` on.
@@ -263,13 +254,9 @@ def assign_subjects(
     id is repeated with different texts; other columns are ignored.
     """
     sample = cut_lineage(labelled_sample(documents, labels, areas, most_labelled), "labelled")
-    rules = mine_rules(sample)
-    weights = calibrate(sample, rules) if rules else DEFAULT_WEIGHTS
-    for _ in range(rounds if rules else 0):
-        wider = cut_lineage(widen_sample(documents, sample, rules, weights), "wider")
-        rules = mine_rules(wider)
-        weights = calibrate(sample, rules)
-    scored = score(documents, rules, weights, threshold, most_areas).select("doc_id", F.explode("areas").alias("a"))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * calibration_share)
+    weights = calibrate(sample.where(aside), mine_rules(sample.where(~aside)))
+    scored = score(documents, mine_rules(sample), weights, threshold, most_areas).select("doc_id", F.explode("areas").alias("a"))
     return scored.select("doc_id", F.col("a.area").alias("subject_area"), F.col("a.probability").alias("probability"))
 
 

@@ -1,4 +1,4 @@
-import inspect
+import numpy as np
 
 import __spark_entry__
 from loomgraph.llm import subjects
@@ -23,11 +23,36 @@ def test_p9_shares_are_registered(spark):
     assert shares and all(0 < r["share"] <= 1 for r in shares)
 
 
-def test_widening_takes_every_sure_document(spark):
-    """More documents than the 20,000 that a sample was once cut to."""
-    n = 25_000
-    documents = spark.range(n).selectExpr("id AS doc_id", "'the court heard the judge. the court heard the judge.' AS text")
-    sample = documents.where("doc_id < 10").selectExpr("doc_id", "text", "array('law') AS areas")
-    given = {"most": 20_000} if "most" in inspect.signature(subjects.widen_sample).parameters else {}
-    wider = subjects.widen_sample(documents, sample, [(("judge",), "law", 0.9)], subjects.DEFAULT_WEIGHTS, **given)
-    assert wider.count() == n
+AREAS = ["law", "sea"]
+WORDS = {"law": "judge court verdict witness appeal", "sea": "anchor sail harbour tide mast"}
+
+
+def _documents(spark, n=60):
+    rows = []
+    for i in range(n):
+        area = AREAS[i % 2]
+        words = WORDS[area].split()
+        text = " ".join(f"The {words[(i + j) % 5]} and the {words[(i + j + 2) % 5]} were there that day." for j in range(6))
+        rows.append((i, text if i % 3 else text + " Nothing else was said about it.", "clash"))
+    rows += [(1000, None, "clash"), (1001, "", "clash"), (1002, "The lamp was on the table. The cat slept near it all day.", "clash"), (1003, rows[0][1] * 300, "clash")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, subject_area string")
+
+
+def test_areas_of_held_out_documents(spark):
+    docs = _documents(spark)
+    labels = spark.createDataFrame([(i, f" {AREAS[i % 2].upper()} ") for i in range(40)] * 2 + [(41, "no area"), (None, "law")], "doc_id bigint, subject_area string")
+    areas = spark.createDataFrame([(a, "") for a in AREAS], "subject_area string, about string")
+    got = {(r["doc_id"], r["subject_area"]) for r in subjects.assign_subjects(docs, labels, areas).collect()}
+    assert {(i, AREAS[i % 2]) for i in range(60)} <= got
+    assert {d for d, _ in got}.isdisjoint({1000, 1001, 1002}) and (1003, "law") in got
+    assert subjects.assign_subjects(docs, labels.where("false"), areas).count() == 0
+    assert subjects.assign_subjects(docs.where("false"), labels, areas).count() == 0
+
+
+def test_weights_without_cases_are_the_prior():
+    assert np.allclose(subjects.fit_weights(np.zeros((0, 3)), np.zeros(0)), subjects.PRIOR_WEIGHTS)
+
+
+def test_redundant_rules():
+    conf = {(("a",), "x"): 0.8, (("a", "b"), "x"): 0.7, (("a", "c"), "x"): 0.9, (("d",), "none"): 0.9}
+    assert subjects.prune(conf) == [(("a",), "x", 0.8), (("a", "c"), "x", 0.9)]
