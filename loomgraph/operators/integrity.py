@@ -98,7 +98,6 @@ def orphan_cascade(
     removals: DataFrame,
     fks: list[ForeignKey],
     created: str = "created_at",
-    max_rounds: int = 50,
 ) -> DataFrame:
     """Direct and inherited orphan references of all ``fks``.
 
@@ -118,7 +117,8 @@ def orphan_cascade(
     """
     targets = sorted({fk.target for fk in fks})
     refs = references(tables, fks, created)
-    direct = cut_lineage(direct_orphans(refs, key_lifetimes(tables, removals, targets, created)), "orphans")
+    lifetimes = key_lifetimes(tables, removals, targets, created)
+    direct = cut_lineage(direct_orphans(refs, lifetimes), "orphans")
     found = [direct.withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0))]
     inner = [fk for fk in fks if fk.table in targets]
 
@@ -129,14 +129,14 @@ def orphan_cascade(
 
     seen = fresh = records(direct) if inner else None
     depth = 0
-    while inner and depth < max_rounds and not fresh.isEmpty():
+    while inner and not fresh.isEmpty():
         depth += 1
         heirs = refs.join(fresh, ["target", "ref_key"], "left_semi").withColumn("reason", F.lit("orphaned_parent"))
         heirs = heirs.withColumn("period", F.date_format("at", "yyyy-MM")).drop("at").distinct()
         heirs = heirs.join(direct.select("table_name", "row_key", "field_name", "ref_key"), ["table_name", "row_key", "field_name", "ref_key"], "left_anti")
         heirs = cut_lineage(heirs.select(direct.columns), f"heirs{depth}")
         found.append(heirs.withColumn("kind", F.lit("inherited")).withColumn("depth", F.lit(depth)))
-        fresh = records(heirs).join(seen, ["target", "ref_key"], "left_anti")
+        fresh = cut_lineage(records(heirs).join(seen, ["target", "ref_key"], "left_anti"), f"fresh{depth}")
         seen = seen.unionByName(fresh)
     out = reduce(DataFrame.unionByName, found)
     return out.select(*FOUND, "kind", "depth")

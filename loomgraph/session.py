@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +22,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    Only where it is unset (tests, a local session) a temporary folder is made,
-    and it is removed when the process ends.
+    Only a local session, whose executors are the driver, gets a temporary
+    folder where it is unset; it is removed when the process ends.  A cluster
+    without the setting raises an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
     if not _LOCAL_DIRS:
         _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="loomgraph-"))
         atexit.register(shutil.rmtree, _LOCAL_DIRS[0], ignore_errors=True)
     return _LOCAL_DIRS[0]
 
 
+def clear_steps(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` wrote; to be called when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -42,6 +57,7 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,5 +70,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
