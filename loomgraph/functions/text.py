@@ -11,6 +11,11 @@ MIXED_TOKEN = r"[A-Za-z0-9_-]+|[一-鿿]"
 STOP_WORDS = "a an and are as at be by did do does for from how in is it of on or that the to was were what when where which who why with".split()
 
 
+def collapsed(c: Column) -> Column:
+    """Blanks, tabs and line ends collapsed to one blank, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(c, "[ \\t\\r\\n]+", " "), "^ | $", "")
+
+
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters, digits and underscores, and single CJK characters."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

@@ -1,4 +1,4 @@
-"""Session helpers: table access, cutting lineage, size-checked broadcasts."""
+"""Session helpers: table access and cutting lineage."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _LOCAL_DIRS: list[str] = []
 _WRITTEN: list[str] = []
@@ -59,14 +58,3 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
-
-    The count reads no more than ``max_rows + 1`` rows; beyond the bound the
-    join stays a shuffle join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
