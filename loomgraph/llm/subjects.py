@@ -97,7 +97,7 @@ def mine_rules(
     total = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     joint = pairs.select("term", F.explode("areas").alias("area")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("k"))
     screened = joint.join(total, "term").where((F.col("area") != NO_AREA) & (F.col("n") >= least_docs))
-    screened = screened.withColumn("conf", (F.col("k") + 0.5) / (F.col("n") + 2)).where((F.col("conf") >= least_confidence * 0.6) & (F.col("conf") >= least_lift * shares[F.col("area")]))
+    screened = screened.withColumn("conf", (F.col("k") + 0.5) / (F.col("n") + 2)).where((F.col("conf") >= least_confidence * 0.6) & (F.col("conf") >= F.least(least_lift * shares[F.col("area")], (1 + shares[F.col("area")]) / 2)))
     strength = {r["term"]: r["conf"] for r in screened.groupBy("term").agg(F.max("conf").alias("conf")).collect()}
     if not strength:
         return []
