@@ -32,13 +32,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_asked(spark, sf_dir), _docs(spark, sf_dir)).withColumn("score", F.round("score", 9))
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return R.bm25(_asked(spark, sf_dir), _docs(spark, sf_dir), k)
 
 
 @query("bm25_topk", _BM25_SQL + " SELECT query_id, id, round(score, 6) score, rank FROM bm_ranked WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(_bm25(spark, sf_dir), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return _bm25(spark, sf_dir, 10).select("query_id", "id", F.round("whole", 6).alias("score"), "rank")
 
 
 @query("bm25_candidates", _BM25_SQL.replace("FROM documents WHERE len(", "FROM documents WHERE lower(source) = 'novel' AND len(") + " SELECT query_id, id, round(score, 6) score, rank FROM bm_ranked WHERE rank <= 10")
