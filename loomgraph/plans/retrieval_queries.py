@@ -45,8 +45,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restricted to candidates, with the statistics of these."""
     docs = read_table(spark, sf_dir, "documents").where("lower(source) = 'novel'").select(F.col("doc_id").alias("id"), "text")
-    scored = R.bm25(_asked(spark, sf_dir), docs).withColumn("score", F.round("score", 9))
-    return R.top_k(scored, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return R.bm25(_asked(spark, sf_dir), docs, 10).select("query_id", "id", F.round("whole", 6).alias("score"), "rank")
 
 
 _SENT_SQL = f""", sent AS (SELECT id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS text, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) pos FROM (SELECT doc_id id, text FROM documents)),
