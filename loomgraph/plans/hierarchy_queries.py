@@ -77,8 +77,7 @@ def property_context(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, id, round(p, 6) p, final, rank FROM k WHERE p >= 0.9 OR (top_p < 0.9 AND rank = 1)""")
 def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits that meet nearly all of the query, or else its best one."""
-    asked = R.query_terms(_asked(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
-    rows = R.top_k(_bm25(spark, sf_dir), 20).drop("rank").join(asked, "query_id")
+    rows = _bm25(spark, sf_dir, 20).drop("rank")
     out = H.relevant_or_best(rows, "query_id", F.col("terms") / F.col("asked"), F.col("score"), 0.9)
     return out.select("query_id", "id", F.round("p", 6).alias("p"), "final", "rank")
 
