@@ -64,7 +64,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query("sentence_topk", _BM25_SQL + _SENT_SQL + " SELECT query_id, id, score, rank FROM hits_ranked WHERE rank <= 10")
 def sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(R.sentence_hits(_asked(spark, sf_dir), _docs(spark, sf_dir)), 10).select("query_id", "id", "score", "rank")
+    return R.sentence_hits(_asked(spark, sf_dir), _docs(spark, sf_dir), 10).select("query_id", "id", "score", "rank")
 
 
 @query("vector_cosine_topk", "WITH " + _VEC_SQL[1:] + " SELECT query_id, id, round(score, 6) score, rank FROM vec_ranked WHERE rank <= 10")
