@@ -94,7 +94,7 @@ _FUSED_SQL = _BM25_SQL + _SENT_SQL + _VEC_SQL + """, votes AS (
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, docs = _asked(spark, sf_dir), _docs(spark, sf_dir)
-    channels = [(R.top_k(_bm25(spark, sf_dir), 20), 1.1), (R.top_k(R.sentence_hits(asked, docs), 20), 0.9), (R.vector_top_k(*_vectors(spark, sf_dir), 20), 1.0)]
+    channels = [(_bm25(spark, sf_dir, 20), 1.1), (R.sentence_hits(asked, docs, 20), 0.9), (R.vector_top_k(*_vectors(spark, sf_dir), 20), 1.0)]
     return R.fused(channels, 10**6).withColumn("score", F.round("score", 12))
 
 
