@@ -1,5 +1,7 @@
 """Retrieval queries: the titles of documents whose id is divisible by 100 against all documents, every hundredth vector against all vectors."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,14 +113,22 @@ def hybrid_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, id, round(score, 6) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM lin) WHERE rank <= 10""")
 def hybrid_linear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """.52 of the lexical score (over the best), .13 of the terms met, .35 of the cosine."""
-    bm = _bm25(spark, sf_dir)
-    asked = R.query_terms(_asked(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
-    most = bm.groupBy("query_id").agg(F.max("score").alias("most"))
+    lex = R.lexicon(_asked(spark, sf_dir), _docs(spark, sf_dir))
+    best = dict(R.bm25_by_set(lex, 1).select("set", "score").collect())
+    most = [best.get(j, 0.0) for j in range(len(lex.asked.sets))]
     q, e = _vectors(spark, sf_dir)
-    rows = bm.join(asked, "query_id").join(most, "query_id").join(q.withColumnRenamed("embedding", "of_query"), "query_id", "left").join(e.select("id", "embedding"), "id", "left")
-    rows = rows.withColumn("cosine", cosine("of_query", "embedding"))
+    # only a query with a vector and a document with one have a cosine; else the score is the same for all queries of a set
+    seen = e.select("id")
+    near, far = (replace(lex, rows=lex.rows.join(seen, "id", how)) for how in ("left_semi", "left_anti"))
+    asked = lex.asked.queries
+    vectors = q.select("query_id", F.col("embedding").alias("of_query"))
+    words = R.bm25_by_set(far, 10, most).join(asked, "set").unionByName(R.bm25_by_set(near, 10, most).join(asked.join(vectors, "query_id", "left_anti"), "set"))
+    words = words.select("query_id", "id", "score", "whole")
+    met = R.bm25_by_set(near, None).join(asked.join(vectors, "query_id"), "set").join(e.select("id", "embedding"), "id")
+    met = met.join(spark.createDataFrame(list(enumerate(most)), "set int, most double"), "set").withColumn("cosine", cosine("of_query", "embedding"))
     score = 0.52 * F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0) + 0.13 * F.col("terms") / F.col("asked") + 0.35 * F.coalesce("cosine", F.lit(0.0))
-    return R.top_k(rows.select("query_id", "id", F.round(score, 9).alias("score")), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    rows = words.unionByName(met.select("query_id", "id", F.round(score, 9).alias("score"), score.alias("whole")))
+    return R.top_k(rows, 10).select("query_id", "id", F.round("whole", 6).alias("score"), "rank")
 
 
 _KW = ("william", "guild", "lantern")
