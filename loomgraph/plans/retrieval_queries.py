@@ -156,10 +156,8 @@ def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, id, round(sum(n) / sqrt(count(*) + 1.0::DOUBLE), 6) score, max(n) best FROM each GROUP BY 1, 2""")
 def sentence_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document by its sentences: the sum of their hits over the root of their number plus one, and the best."""
-    rows = _docs(spark, sf_dir).select("id", F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("pos", "s"))
-    met = rows.select("id", "pos", F.explode(F.array_distinct(R.tokens(F.col("s")))).alias("term")).join(R.query_terms(_asked(spark, sf_dir)), "term")
-    each = met.groupBy("query_id", "id", "pos").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("query_id", "id").agg(F.round(F.sum("n") / F.sqrt(F.count(F.lit(1)) + 1.0), 6).alias("score"), F.max("n").alias("best"))
+    rows = R.sentence_hits(_asked(spark, sf_dir), _docs(spark, sf_dir))
+    return rows.select("query_id", "id", F.round(F.col("hits") / F.sqrt(F.col("sentences") + 1.0), 6).alias("score"), F.col("score").cast("bigint").alias("best"))
 
 
 @query("chunks_by_document_ids", """WITH c AS (SELECT DISTINCT id, source_doc_id, try_cast(metadata['chunk_index'] AS BIGINT) i FROM chunks WHERE source_doc_id IS NOT NULL)
