@@ -2,10 +2,10 @@
 
 Names become *forms* (a person's given name and surname, an organisation's
 words), each once however many records bear it.  Forms are vectors of character
-n-grams weighted by rarity; all pairs of cosine ``least`` or more come from a
-join on the n-grams of surnames and founders' names.  A
-check of the words then says whether a pair can be one name at all, and average
-linkage groups the forms, in rounds in which all mutually nearest clusters merge.
+n-grams weighted by rarity; pairs come from a join of
+surnames and founders' names that typing errors can part.  A check of the words
+says whether a pair can be one name at all; then all pairs of cosine ``least``
+or more among forms that links join are judged, and average linkage groups the forms, in rounds in which all mutually nearest clusters merge.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.survivors import says_something
+from loomgraph.operators.graph import components
 from loomgraph.session import cut_lineage
 
 PERSON, HOUSE = "person", "organisation"
@@ -202,17 +203,44 @@ def forms_of_ids(said: DataFrame) -> DataFrame:
     return forms.select("id", F.lit(PERSON).alias("kind"), given.alias("given"), F.array("surname").alias("words")).unionByName(organisations).distinct()
 
 
-def similar_forms(forms: DataFrame, n: int) -> DataFrame:
-    """Pairs ``a < b`` of the ``form, kind, given, words`` that may be similar, with their n-gram vectors.
-
-    Two forms are similar if their surnames (the founders' names of
-    organisations) share an n-gram and the cosine of the whole vectors is
-    some bound or more (``judged_pairs`` has both vectors and works it out).  The
-    n-grams of surnames are the join's keys: given names and kinds of
-    organisations, which half of all forms may share, are none.  No list of
-    n-grams or partners is cut.  Surnames over two errors apart are parted in
-    the join already, as ``one_person`` would.
+def near_names(names: DataFrame, most: int = 2, long: int = 18) -> DataFrame:
+    """``kind, x, y``: the ``kind, name`` that ``distance`` puts ``most`` (2 at most) errors apart or less, both ways round, each with itself too.
+
+    Words two errors apart become equal when each loses two letters at most, so
+    what is left of them is the join's key; above ``long`` letters two such
+    words share a run of six.  Keys are few a name and shared by near names only.
     """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                out = []
+                for kind, name in zip(pdf["kind"][at : at + 500], pdf["name"][at : at + 500]):
+                    left = {name}
+                    if len(name) <= long + 2:
+                        for _ in range(most):
+                            left |= {w[:i] + w[i + 1 :] for w in left for i in range(len(w))}
+                    if len(name) > long:
+                        left |= {f"_{name}_"[i : i + 6] for i in range(len(name) - 3)}
+                    out += [(kind, name, w) for w in left]
+                yield pd.DataFrame(out, columns=["kind", "name", "key"])
+
+    keyed = names.select("kind", "name").distinct().mapInPandas(keys, "kind string, name string, key string").select("kind", "name", F.xxhash64("key").alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    near = (F.abs(F.length("a.name") - F.length("b.name")) <= most) & (F.levenshtein("a.name", "b.name", 2 * most) >= 0)
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name")) & near)
+    met = met.select("a.kind", F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct()
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[distance(x, y, most) <= most for x, y in zip(pdf["x"], pdf["y"])]]
+
+    met = cut_lineage(met.mapInPandas(judged, "kind string, x string, y string"), "names")
+    return met.unionByName(met.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("kind", F.col("name").alias("x"), F.col("name").alias("y")).distinct())
+
+
+def form_vectors(forms: DataFrame, n: int) -> DataFrame:
+    """The ``form, kind, given, words, many, known`` with their n-grams and weights ``v`` and their ``norm``."""
     padded = F.transform(F.filter(F.concat(F.array("given"), "words"), lambda w: w != ""), lambda w: F.concat(F.lit("_"), w, F.lit("_")))
     grams = F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n))))))
     rows = forms.select("form", "kind", F.explode(grams).alias("gram"))
@@ -221,18 +249,48 @@ def similar_forms(forms: DataFrame, n: int) -> DataFrame:
     weights = seen.join(F.broadcast(total), "kind").select("kind", "gram", F.log1p(F.col("total") / F.col("df")).alias("w"))
     vectors = rows.join(weights, ["kind", "gram"]).groupBy("form").agg(F.collect_list(F.struct("gram", "w")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    vectors = cut_lineage(vectors.withColumn("norm", norm).join(forms, "form"), "vectors")
-    name = F.concat(F.lit("_"), F.col("words")[0], F.lit("_"))
-    own = F.filter(F.col("v")["gram"], lambda g: F.contains(name, g))
-    indexed = vectors.select("form", "kind", F.col("words")[0].alias("name"), F.explode(own).alias("gram"))
-    a, b = indexed.alias("a"), indexed.alias("b")
-    near = (F.abs(F.length("a.name") - F.length("b.name")) <= 2) & (F.levenshtein("a.name", "b.name", 4) >= 0)
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.form") < F.col("b.form")) & near)
-    met = met.select(F.col("a.form").alias("a"), F.col("b.form").alias("b")).distinct()
+    return vectors.withColumn("norm", norm).join(forms, "form")
+
+
+def _with_vectors(met: DataFrame, vectors: DataFrame) -> DataFrame:
     side = lambda s: vectors.select(F.col("form").alias(s), F.struct("kind", "given", "words", "norm", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("w"), "many", "known").alias(f"{s}_"))
     return met.join(side("a"), "a").join(side("b"), "b")
 
 
+def _near_forms(vectors: DataFrame) -> DataFrame:
+    """``a < b``: the forms whose surnames (founders' names of organisations) are two errors apart at most."""
+    named = vectors.select("form", "kind", F.col("words")[0].alias("name"))
+    a, b = named.select("kind", F.col("name").alias("x"), F.col("form").alias("a")), named.select("kind", F.col("name").alias("y"), F.col("form").alias("b"))
+    return near_names(named).join(a, ["kind", "x"]).join(b, ["kind", "y"]).where("a < b").select("a", "b")
+
+
+def similar_forms(forms: DataFrame, n: int) -> DataFrame:
+    """Pairs ``a < b`` of the ``form, kind, given, words`` that may be one name, with their n-gram vectors (``judged_pairs`` works out the cosine).
+
+    Only surnames (founders' names of organisations) two errors apart or less can be one, so these are all the links
+    that there are, whether or not they share an n-gram.  No list is cut.
+    """
+    vectors = cut_lineage(form_vectors(forms, n), "vectors")
+    return _with_vectors(_near_forms(vectors), vectors)
+
+
+def likenesses(forms: DataFrame, n: int, least: float) -> DataFrame:
+    """``a, b, likeness, void`` of all pairs of cosine ``least`` or more that average linkage with a bound above 0 can heed.
+
+    Clusters merge only along links, so pairs of forms that no chain of links
+    joins change nothing.  Of forms that one does join, all pairs are judged,
+    also those of far surnames.
+    """
+    vectors = cut_lineage(form_vectors(forms, n), "vectors")
+    first = cut_lineage(judged_pairs(_with_vectors(_near_forms(vectors), vectors), least), "links")
+    labels = cut_lineage(components(first.where("likeness > 0"), "a", "b"), "linked")
+    x, y = labels.select("component", F.col("node").alias("a")), labels.select("component", F.col("node").alias("b"))
+    met = x.join(y, "component").where("a < b").select("a", "b")
+    known = first.join(labels.select(F.col("node").alias("a"), "component"), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").where("component = other")
+    rest = met.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    return known.select("a", "b", "likeness", "void").unionByName(judged_pairs(_with_vectors(rest, vectors), least))
+
+
 def judged_pairs(pairs: DataFrame, least: float) -> DataFrame:
     """``a, b, likeness, void``: the cosine of the pairs from ``least`` on that can be one name, ``CONTRADICTION`` for those that cannot, void those that tell nothing."""
 
@@ -320,7 +378,7 @@ def name_groups(
     known = called.where(F.length("given") > 1).groupBy("given").agg((F.count_distinct(surname) >= 3).alias("known"))
     forms = called.select("form", "kind", "given", "words", surname.alias("name")).distinct()
     forms = forms.join(many, ["kind", "name"]).join(known, "given", "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("name")
-    pairs = cut_lineage(judged_pairs(similar_forms(cut_lineage(forms, "forms"), n), least_cosine), "likeness")
+    pairs = cut_lineage(likenesses(cut_lineage(forms, "forms"), n, least_cosine), "likeness")
     groups = average_linkage(pairs, least_average)
     ids = called.select("id", "form").join(groups.withColumnRenamed("node", "form"), "form", "left")
     return ids.select("id", F.coalesce("cluster", "form").alias("cluster")).distinct()

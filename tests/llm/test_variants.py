@@ -115,3 +115,23 @@ def test_average_linkage_against_one_merge_at_a_time(spark):
     for r in V.average_linkage(df, 0.4).collect():
         got[r["cluster"]].add(r["node"])
     assert {frozenset(g) for g in got.values()} == _linkage(pairs, range(1, 10), 0.4)
+
+
+def test_near_surnames_without_a_common_ngram_are_linked(spark):
+    rows = [("a", "Florentina Kirk", ["Character"], []), ("b", "Florentina Krik", ["Character"], []), ("c", "Florentina Bo", ["Character"], []), ("d", "Zeno Bode", ["Character"], [])]
+    assert _groups(spark, rows) == {frozenset("ab")}
+
+
+def test_near_names_against_all_pairs(spark):
+    base = "kirk krik kri marranrinman maranrinmna bo ob abc bcd gunsoranzodarmobukel gunsoranzodramobukle gunsoranzodarmobukelxy".split()
+    long = ["q" * 40 + w for w in base] + ["x" * 3000, "x" * 3000 + "yy"]
+    names = spark.createDataFrame([("person", w) for w in base + long] + [("organisation", "kirk")], "kind string, name string")
+    got = {(r["x"], r["y"]) for r in V.near_names(names).where("kind = 'person'").collect()}
+    assert got == {(x, y) for x in base + long for y in base + long if V.distance(x, y, 2) <= 2}
+
+
+def test_far_pairs_among_linked_forms_are_judged(spark):
+    """Forms that a chain of links joins: every pair of the cosine counts, even of surnames four errors apart."""
+    rows = [(i, "person", "florentina", [s], False, False) for i, s in enumerate(["marran", "marranxy", "marranxyzw", "gunso"])]
+    forms = spark.createDataFrame(rows, "form bigint, kind string, given string, words array<string>, many boolean, known boolean")
+    assert {(r["a"], r["b"]): r["void"] for r in V.likenesses(forms, 4, 0.2).collect()} == {(0, 1): 0, (1, 2): 0, (0, 2): 1}
