@@ -12,9 +12,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,63 +207,139 @@ def forms_of_ids(said: DataFrame) -> DataFrame:
     return forms.select("id", F.lit(PERSON).alias("kind"), given.alias("given"), F.array("surname").alias("words")).unionByName(organisations).distinct()
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _keys_of(names: list[str], most: int, long: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``names`` and the hashes of what is left of them (see ``near_names``), a batch of equal lengths at a time."""
+    powers = np.cumprod(np.full(max([6, *map(len, names)]), _BASE, dtype=np.uint64))
+    by_length: dict[int, list[int]] = {}
+    for k, name in enumerate(names):
+        by_length.setdefault(len(name), []).append(k)
+        if len(name) > long:
+            codes = np.frombuffer(f"_{name}_".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            runs = np.unique((np.lib.stride_tricks.sliding_window_view(codes, 6) * powers[:6]).sum(axis=1, dtype=np.uint64))
+            yield np.full(len(runs), k), runs ^ np.uint64(most + 1)
+    for length, at in by_length.items():
+        places = np.array(at)
+        if length > long + 2:
+            continue
+        codes = np.frombuffer("".join(names[k] for k in at).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64).reshape(len(at), length)
+        for lost in range(min(most, length) + 1):
+            for gone in combinations(range(length), lost):
+                left = np.delete(codes, gone, axis=1)
+                yield places, (left * powers[: length - lost]).sum(axis=1, dtype=np.uint64) + np.uint64((length - lost) * 1000003)
+
+
 def near_names(names: DataFrame, most: int = 2, long: int = 18) -> DataFrame:
     """``kind, x, y``: the ``kind, name`` that ``distance`` puts ``most`` (2 at most) errors apart or less, both ways round, each with itself too.
 
     Words two errors apart become equal when each loses two letters at most, so
-    what is left of them is the join's key; above ``long`` letters two such
-    words share a run of six.  Keys are few a name and shared by near names only.
+    what is left of them is the key that brings them together; above ``long``
+    letters two such words share a run of six.  Keys are few a name and shared by
+    near names only.  Names that are ``many``, if there is such a column, meet
+    only names that are not.
     """
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                out = []
-                for kind, name in zip(pdf["kind"][at : at + 500], pdf["name"][at : at + 500]):
-                    left = {name}
-                    if len(name) <= long + 2:
-                        for _ in range(most):
-                            left |= {w[:i] + w[i + 1 :] for w in left for i in range(len(w))}
-                    if len(name) > long:
-                        left |= {f"_{name}_"[i : i + 6] for i in range(len(name) - 3)}
-                    out += [(kind, name, w) for w in left]
-                yield pd.DataFrame(out, columns=["kind", "name", "key"])
-
-    keyed = names.select("kind", "name").distinct().mapInPandas(keys, "kind string, name string, key string").select("kind", "name", F.xxhash64("key").alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.abs(F.length("a.name") - F.length("b.name")) <= most) & (F.levenshtein("a.name", "b.name", 2 * most) >= 0)
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.name") < F.col("b.name")) & near)
-    met = met.select("a.kind", F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct()
+    many = F.col("many").cast("bigint") if "many" in names.columns else F.lit(0).cast("bigint")
+    named = names.groupBy("kind", "name").agg(F.min(many).alias("many"))
+    named = named.select("kind", "name", (F.shiftleft(F.xxhash64("kind", "name"), 1) + F.col("many")).alias("id"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            seeds = batch.column(2).to_numpy().view(np.uint64)
+            for places, h in _gathered(_keys_of(batch.column(1).to_pylist(), most, long)):
+                yield pa.RecordBatch.from_arrays([pa.array(_mixed(h ^ seeds[places]).view(np.int64)), pa.array(ids[places])], ["key", "id"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        key, of = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        order = np.lexsort((of, key))
+        key, of = key[order], of[order]
+        first, step = np.arange(len(key)), 1
+        while len(first := first[first + step < len(key)]):
+            first = first[key[first] == key[first + step]]
+            a, b = of[first], of[first + step]
+            good = (a != b) & ((a & b & 1) == 0)
+            pairs = np.unique(np.stack([a[good], b[good]], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs.min(axis=1))), pa.array(np.ascontiguousarray(pairs.max(axis=1)))], ["a", "b"])
+            step += 1
+
+    keyed = named.select("id", "name", F.xxhash64("kind").alias("seed")).mapInArrow(keys, "key bigint, id bigint")
+    met = keyed.repartition("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    met = met.join(named.select(F.col("id").alias("a"), "kind", F.col("name").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("kind").alias("kind_b"), F.col("name").alias("y")), "b")
+    met = met.where((F.col("kind") == F.col("kind_b")) & (F.abs(F.length("x") - F.length("y")) <= most)).select("kind", "x", "y", F.levenshtein("x", "y", 2 * most).alias("apart")).where("apart >= 0")
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[[distance(x, y, most) <= most for x, y in zip(pdf["x"], pdf["y"])]]
+            yield pdf.loc[[n <= most or distance(x, y, most) <= most for x, y, n in zip(pdf["x"], pdf["y"], pdf["apart"])], ["kind", "x", "y"]]
 
     met = cut_lineage(met.mapInPandas(judged, "kind string, x string, y string"), "names")
     return met.unionByName(met.select("kind", F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("kind", F.col("name").alias("x"), F.col("name").alias("y")).distinct())
 
 
-def form_vectors(forms: DataFrame, n: int) -> DataFrame:
-    """The ``form, kind, given, words, many, known`` with their n-grams and weights ``v`` and their ``norm``."""
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same places and hashes in fewer, larger arrays."""
+    held, n = [], 0
+    for places, h in parts:
+        held.append((places, h))
+        n += len(places)
+        if n >= rows:
+            yield np.concatenate([p for p, _ in held]), np.concatenate([h for _, h in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([p for p, _ in held]), np.concatenate([h for _, h in held])
+
+
+def form_vectors(forms: DataFrame, n: int, of: DataFrame | None = None) -> DataFrame:
+    """The ``form, kind, given, words, many, known`` with their n-grams and weights ``v`` and their ``norm``.
+
+    All forms count for the weights; only those in ``of`` (``form``), if given, come out.
+    """
     padded = F.transform(F.filter(F.concat(F.array("given"), "words"), lambda w: w != ""), lambda w: F.concat(F.lit("_"), w, F.lit("_")))
     grams = F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substring(w, i, F.lit(n))))))
-    rows = forms.select("form", "kind", F.explode(grams).alias("gram"))
-    seen = rows.groupBy("kind", "gram").agg(F.count(F.lit(1)).alias("df"))
+    forms_out = forms if of is None else forms.join(of, "form", "left_semi")
+    rows_out = forms_out.select("form", "kind", F.explode(grams).alias("gram"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, Counter] = {}
+        for pdf in batches:
+            for kind, given, words in zip(pdf["kind"], pdf["given"], pdf["words"]):
+                padded = [f"_{w}_" for w in (given, *words) if w]
+                seen.setdefault(kind, Counter()).update({w[i : i + n] for w in padded for i in range(max(1, len(w) - n + 1))})
+            if sum(map(len, seen.values())) > 300_000:
+                yield counted(seen)
+                seen.clear()
+        yield counted(seen)
+
+    def counted(seen: dict[str, Counter]) -> pd.DataFrame:
+        return pd.DataFrame([(kind, gram, m) for kind, c in seen.items() for gram, m in c.items()], columns=["kind", "gram", "df"])
+
+    seen = forms.select("kind", "given", "words").mapInPandas(count, "kind string, gram string, df bigint").groupBy("kind", "gram").agg(F.sum("df").alias("df"))
     total = forms.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
     weights = seen.join(F.broadcast(total), "kind").select("kind", "gram", F.log1p(F.col("total") / F.col("df")).alias("w"))
-    vectors = rows.join(weights, ["kind", "gram"]).groupBy("form").agg(F.collect_list(F.struct("gram", "w")).alias("v"))
+    vectors = rows_out.join(weights, ["kind", "gram"]).groupBy("form").agg(F.collect_list(F.struct("gram", "w")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return vectors.withColumn("norm", norm).join(forms, "form")
+    return vectors.withColumn("norm", norm).join(forms_out, "form")
 
 
 def _with_vectors(met: DataFrame, vectors: DataFrame) -> DataFrame:
-    side = lambda s: vectors.select(F.col("form").alias(s), F.struct("kind", "given", "words", "norm", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("w"), "many", "known").alias(f"{s}_"))
+    side = lambda s: vectors.select(F.col("form").alias(s), F.struct("kind", "given", "words", "norm", "v", "many", "known").alias(f"{s}_"))
     return met.join(side("a"), "a").join(side("b"), "b")
 
 
-def _near_forms(vectors: DataFrame) -> DataFrame:
-    """``a < b``: the forms whose surnames (founders' names of organisations) are two errors apart at most."""
-    named = vectors.select("form", "kind", F.col("words")[0].alias("name"))
+def _near_forms(forms: DataFrame) -> DataFrame:
+    """``a < b``: the forms whose surnames (founders' names of organisations) are two errors apart at most, and equal if both are ``many`` (persons of such surnames are never one)."""
+    named = forms.select("form", "kind", F.col("words")[0].alias("name"), (F.col("many") & (F.col("kind") == PERSON)).alias("many"))
     a, b = named.select("kind", F.col("name").alias("x"), F.col("form").alias("a")), named.select("kind", F.col("name").alias("y"), F.col("form").alias("b"))
     return near_names(named).join(a, ["kind", "x"]).join(b, ["kind", "y"]).where("a < b").select("a", "b")
 
@@ -271,7 +351,7 @@ def similar_forms(forms: DataFrame, n: int) -> DataFrame:
     that there are, whether or not they share an n-gram.  No list is cut.
     """
     vectors = cut_lineage(form_vectors(forms, n), "vectors")
-    return _with_vectors(_near_forms(vectors), vectors)
+    return _with_vectors(_near_forms(forms), vectors)
 
 
 def likenesses(forms: DataFrame, n: int, least: float) -> DataFrame:
@@ -281,8 +361,9 @@ def likenesses(forms: DataFrame, n: int, least: float) -> DataFrame:
     joins change nothing.  Of forms that one does join, all pairs are judged,
     also those of far surnames.
     """
-    vectors = cut_lineage(form_vectors(forms, n), "vectors")
-    first = cut_lineage(judged_pairs(_with_vectors(_near_forms(vectors), vectors), least), "links")
+    near = cut_lineage(_near_forms(forms), "near")
+    vectors = cut_lineage(form_vectors(forms, n, near.select(F.explode(F.array("a", "b")).alias("form")).distinct()), "vectors")
+    first = cut_lineage(judged_pairs(_with_vectors(near, vectors), least), "links")
     labels = cut_lineage(components(first.where("likeness > 0"), "a", "b"), "linked")
     x, y = labels.select("component", F.col("node").alias("a")), labels.select("component", F.col("node").alias("b"))
     met = x.join(y, "component").where("a < b").select("a", "b")
@@ -297,18 +378,16 @@ def judged_pairs(pairs: DataFrame, least: float) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["a_"], pdf["b_"]):
-                weights = dict(zip(x["grams"], x["w"]))
-                cosine = sum(weights.get(g, 0.0) * w for g, w in zip(y["grams"], y["w"])) / (x["norm"] * y["norm"])
-                if cosine < least:
-                    continue
-                if x["kind"] == PERSON:
-                    same = one_person((x["given"], x["words"][0]), (y["given"], y["words"][0]), (x["many"], y["many"]), (x["known"], y["known"]))
-                else:
-                    same = one_organisation(list(x["words"]), list(y["words"]))
+            sides = [list(zip(*(pdf[f"{c}_{x}"] for c in ("given", "words", "many", "known")))) for x in "ab"]
+            for a, b, kind, cosine, (g, v, m, k), (h, w, o, q) in zip(pdf["a"], pdf["b"], pdf["kind"], pdf["cosine"], *sides):
+                same = one_person((g, v[0]), (h, w[0]), (m, o), (k, q)) if kind == PERSON else one_organisation(list(v), list(w))
                 out.append((a, b, 0.0 if same is None else cosine if same else CONTRADICTION, int(same is None)))
             yield pd.DataFrame(out, columns=["a", "b", "likeness", "void"])
 
+    # an n-gram has one weight, so that the common ones are equal in both
+    common = F.aggregate(F.array_intersect("a_.v", "b_.v"), F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+    flat = [F.col(f"{x}_.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("given", "words", "many", "known")]
+    pairs = pairs.select("a", "b", F.col("a_.kind").alias("kind"), (common / (F.col("a_.norm") * F.col("b_.norm"))).alias("cosine"), *flat).where(F.col("cosine") >= least)
     return pairs.mapInPandas(judge, "a bigint, b bigint, likeness double, void bigint")
 
 

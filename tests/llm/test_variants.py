@@ -135,3 +135,23 @@ def test_far_pairs_among_linked_forms_are_judged(spark):
     rows = [(i, "person", "florentina", [s], False, False) for i, s in enumerate(["marran", "marranxy", "marranxyzw", "gunso"])]
     forms = spark.createDataFrame(rows, "form bigint, kind string, given string, words array<string>, many boolean, known boolean")
     assert {(r["a"], r["b"]): r["void"] for r in V.likenesses(forms, 4, 0.2).collect()} == {(0, 1): 0, (1, 2): 0, (0, 2): 1}
+
+
+def test_many_borne_names_meet_only_rare_ones(spark):
+    rows = [("person", "kirkan", True), ("person", "kirken", True), ("person", "kirkon", False)]
+    got = {(r["x"], r["y"]) for r in V.near_names(spark.createDataFrame(rows, "kind string, name string, many boolean")).collect() if r["x"] < r["y"]}
+    assert got == {("kirkan", "kirkon"), ("kirken", "kirkon")}
+
+
+def test_mistyped_organisations_of_many_ids_are_linked(spark):
+    """Founders' names that several ids bear can still be one, unlike surnames."""
+    rows = [(f"{w}{i}", f"{w} Trading Society", ["Concept"], []) for w in ("Wemaganke", "Wemagenke") for i in range(3)]
+    assert _groups(spark, rows) == {frozenset(r[0] for r in rows)}
+
+
+def test_weights_count_all_forms_where_few_have_vectors(spark):
+    rows = [(i, "person", g, [s], False, False) for i, (g, s) in enumerate([("ann", "kirk"), ("bob", "kirk"), ("", "zodarmobu")])]
+    forms = spark.createDataFrame(rows, "form bigint, kind string, given string, words array<string>, many boolean, known boolean")
+    whole = {r["form"]: sorted((x["gram"], x["w"]) for x in r["v"]) for r in V.form_vectors(forms, 3).collect()}
+    few = {r["form"]: sorted((x["gram"], x["w"]) for x in r["v"]) for r in V.form_vectors(forms, 3, forms.select("form").where("form = 0")).collect()}
+    assert set(few) == {0} and few[0] == whole[0] and set(whole) == {0, 1, 2}
