@@ -129,9 +129,14 @@ def _by_set(rows: DataFrame, asked: Asked, scorer: Callable, k: int | None, fiel
     return scored if k is None else top_k(scored, k, group="set")
 
 
-def _to_queries(by_set: DataFrame, asked: Asked) -> DataFrame:
-    """What was found for a set, for each of its queries."""
-    return by_set.join(asked.queries, "set").drop("set")
+def to_queries(by_set: DataFrame, asked: Asked, whole: bool = False) -> DataFrame:
+    """What was found for a set, for each of its queries.
+
+    If it is ``whole`` and not the best of a set, it grows as documents times
+    sets, which Spark's estimate doesn't see; it stays where it is and the queries
+    go to it, as three numbers each.
+    """
+    return by_set.join(F.broadcast(asked.queries) if whole else asked.queries, "set").drop("set")
 
 
 @dataclass
@@ -206,7 +211,7 @@ def bm25_by_set(lex: Lexicon, k: int | None, most: list[float] | None = None) ->
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
     """``query_id, id, score, terms, whole, asked`` (query terms met, of how many) of every document ``id, text`` with a term of the query, or of the ``k`` best, with their ``rank``; ``score`` has nine decimals, ``whole`` all."""
     lex = lexicon(queries, docs)
-    return _to_queries(bm25_by_set(lex, k), lex.asked)
+    return to_queries(bm25_by_set(lex, k), lex.asked, k is None)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id") -> DataFrame:
@@ -216,7 +221,13 @@ def top_k(scored: DataFrame, k: int, by: str = "score", group: str = "query_id")
 
 
 def sentence_hits(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
-    """``query_id, id, score, hits, sentences`` of the documents with a term of the query, or of the ``k`` best with their ``rank``.
+    """``query_id, id, score, hits, sentences`` of the documents with a term of the query, or of the ``k`` best with their ``rank``."""
+    by_set, asked = sentence_hits_by_set(queries, docs, k)
+    return to_queries(by_set, asked, k is None)
+
+
+def sentence_hits_by_set(queries: DataFrame, docs: DataFrame, k: int | None = None) -> tuple[DataFrame, Asked]:
+    """``set, id, score, hits, sentences`` of the documents with a term of the set, or of the ``k`` best with their ``rank``; and what is asked.
 
     ``score`` is the most query terms that one sentence has, ``hits`` their sum
     over all sentences, ``sentences`` how many have one.  Rows with one id are
@@ -250,7 +261,7 @@ def sentence_hits(queries: DataFrame, docs: DataFrame, k: int | None = None) ->
 
         return of
 
-    return _to_queries(_by_set(rows, asked, scorer, k, "score double, hits bigint, sentences bigint"), asked)
+    return _by_set(rows, asked, scorer, k, "score double, hits bigint, sentences bigint"), asked
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:

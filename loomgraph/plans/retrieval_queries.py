@@ -156,8 +156,9 @@ def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, id, round(sum(n) / sqrt(count(*) + 1.0::DOUBLE), 6) score, max(n) best FROM each GROUP BY 1, 2""")
 def sentence_document_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document by its sentences: the sum of their hits over the root of their number plus one, and the best."""
-    rows = R.sentence_hits(_asked(spark, sf_dir), _docs(spark, sf_dir))
-    return rows.select("query_id", "id", F.round(F.col("hits") / F.sqrt(F.col("sentences") + 1.0), 6).alias("score"), F.col("score").cast("bigint").alias("best"))
+    by_set, asked = R.sentence_hits_by_set(_asked(spark, sf_dir), _docs(spark, sf_dir))
+    rows = by_set.select("set", "id", F.round(F.col("hits") / F.sqrt(F.col("sentences") + 1.0), 6).alias("score"), F.col("score").cast("bigint").alias("best"))
+    return R.to_queries(rows, asked, whole=True).select("query_id", "id", "score", "best")
 
 
 @query("chunks_by_document_ids", """WITH c AS (SELECT DISTINCT id, source_doc_id, try_cast(metadata['chunk_index'] AS BIGINT) i FROM chunks WHERE source_doc_id IS NOT NULL)

@@ -38,3 +38,15 @@ def test_queries_of_the_same_terms_are_one_set(spark):
     """What is scored grows with the distinct sets of terms, not with the queries."""
     asked = R.asked_sets(spark.createDataFrame([(i, "The lamp" if i % 2 else "lamp, the lamp") for i in range(50)], "query_id bigint, text string"))
     assert len(asked.sets) == 1 and asked.terms == ["lamp", "the"] and asked.queries.count() == 50
+
+
+def test_all_hits_are_not_sent_to_the_driver(spark, odd_tables):
+    """The queries are broadcast to the hits, which grow as documents times sets, whatever Spark takes their size for."""
+    for most in ("-1", "1g"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            plan = CORE.queries["sentence_document_score"](spark, odd_tables)._jdf.queryExecution().sparkPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        join = next(x for x in plan.split("\n") if "Join" in x)
+        assert "BuildRight" in join and "MapInArrow" in plan.split(join)[1].split("Join")[0]
